@@ -5,13 +5,41 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merge_replay, token_counts
+from pyspark.sql import functions as F
+
+from . import host_rules, merge_replay, neighbours, packing, repair_store, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _word_ids() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(_documents(spark, sf_dir)).drop("host_rate")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir), shingle=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_store.read_store(repair_store.write_store(_documents(spark, sf_dir), _word_ids(), end=2))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), _word_ids(), end=1, length=2048, keep_ids=False).drop("ids")
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -21,8 +49,8 @@ def op9_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op9_merge_replay)}
+    return {f.__name__: f for f in (op1_host_rules, op2_token_counts, op4_simhash, op7_repair_store, op8_packing, op9_merge_replay, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_host_rules": host_rules.ORACLE}
