@@ -58,6 +58,16 @@ def release(df: DataFrame) -> None:
             _delete(path, _MADE.pop(path))
 
 
+def tables() -> set[str]:
+    """The scratch tables that exist now, for a caller that knows when they are done with (see ``drop``)."""
+    return set(_MADE)
+
+
+def drop(paths: set[str]) -> None:
+    for path in paths & set(_MADE):
+        _delete(path, _MADE.pop(path))
+
+
 def ranges(spark: SparkSession) -> int:
     """Into how many key ranges a corpus-wide dictionary is dealt: the cluster's own partition count."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
