@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import materialise, ranges, rows, texts
 
 #: Text bytes in one block; a longer document makes a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 
 #: Below this code point the regex library and the tokenizer libraries class characters alike (tested).
 PLAIN_BELOW = 0x530
@@ -54,26 +54,38 @@ def split(pattern: str, text: str) -> list[str]:
 
 
 def pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
 
 def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on."""
+    return np.ascontiguousarray(values.view("u1").reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(data, "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
 def pack_words(words: list[str]) -> bytes:
     """Words as lengths and characters; any text may stand in a word."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    return pack(np.fromiter(map(len, raw), "<u4", len(raw)).tobytes() + b"".join(raw))
+    return pack(planes(np.fromiter(map(len, raw), "<u4", len(raw))) + b"".join(raw))
 
 
 def unpack_words(data: bytes, n: int) -> list[bytes]:
     raw = unpack(data)
-    ends = (4 * n + np.cumsum(np.frombuffer(raw, "<u4", n))).tolist()
+    ends = (4 * n + np.cumsum(from_planes(raw[: 4 * n], "<u4"))).tolist()
     return [raw[a:b] for a, b in zip([4 * n, *ends], ends)]
 
 
-BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, extra array<long>, sizes array<int>, ids binary, freqs binary, parts array<binary>, part_sizes array<int>"
+#: A block's most frequent words have the smallest numbers, which compress best.
+OFTEN = 4096
+BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, extra array<long>, sizes array<int>, ids binary, freqs binary, often array<int>, parts array<binary>, part_sizes array<int>"
 
 
 def block_maker(pattern: str, special: list[str], n_parts: int, keep_order: bool) -> Callable[[Iterator], Iterator]:
@@ -85,58 +97,57 @@ def block_maker(pattern: str, special: list[str], n_parts: int, keep_order: bool
     """
     cut = regex.compile("|".join(map(regex.escape, special))).split if special else None
 
-    def emit(docs: list) -> pa.RecordBatch:
-        seen: dict[str, int] = {}
-        number = seen.setdefault
-        per_doc = []
-        for _, words, _, _ in docs:
-            if keep_order:
-                per_doc.append((np.fromiter((number(w, len(seen)) for w in words), "<u4", len(words)), None))
-            else:
-                n = len(words)
-                per_doc.append((np.fromiter((number(w, len(seen)) for w in words), "<u4", n), np.fromiter(words.values(), "<u4", n)))
+    def emit(docs: list, seen: dict[str, int]) -> pa.RecordBatch:
+        per_doc = [(x, y) for _, x, y, _, _ in docs]
         parts: dict[int, list[str]] = defaultdict(list)
-        old: dict[int, list[int]] = defaultdict(list)
-        for word, k in seen.items():
-            part = zlib.crc32(word.encode("utf-8", "surrogatepass")) % n_parts
-            parts[part].append(word)
-            old[part].append(k)
-        new = np.empty(len(seen), "<u4")
+        for word in seen:
+            parts[zlib.crc32(word.encode("utf-8", "surrogatepass")) % n_parts].append(word)
+        ids = np.concatenate([x for x, _ in per_doc]) if seen else np.empty(0, "<u4")
+        freqs = b"" if keep_order or not seen else np.concatenate([y for _, y in per_doc]).tobytes()
+        often = np.argsort(-np.bincount(ids, minlength=len(seen)), kind="stable")[:OFTEN]
+        place = dict.fromkeys(seen)
         at = 0
         for part in range(n_parts):
-            if old[part]:
-                new[old[part]] = np.arange(at, at + len(old[part]), dtype="<u4")
-                at += len(old[part])
-        ids = new[np.concatenate([x for x, _ in per_doc])] if seen else np.empty(0, "<u4")
-        freqs = b"" if keep_order or not seen else np.concatenate([y for _, y in per_doc]).tobytes()
-        planes = np.ascontiguousarray(ids.view("u1").reshape(-1, 4).T).tobytes()
+            parts[part].sort()
+            for word in parts[part]:
+                place[word] = at
+                at += 1
+        slot = np.fromiter(place.values(), "<u4", len(seen))
+        new = slot + np.uint32(OFTEN)
+        new[often] = np.arange(len(often))
+        ids = new[ids]
         columns = [
             [random.getrandbits(62)], [[d for d, *_ in docs]], [[b for *_, b, _ in docs]], [[e for *_, e in docs]],
-            [[len(x) for x, _ in per_doc]], [pack(planes)], [pack(freqs)],
+            [[len(x) for x, _ in per_doc]], [pack(planes(ids))], [pack(freqs)], [slot[often].tolist()],
             [[pack_words(parts[p]) if parts[p] else b"" for p in range(n_parts)]], [[len(parts[p]) for p in range(n_parts)]],
         ]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SCHEMA.types)], schema=SCHEMA)
 
     def run(batches: Iterator) -> Iterator:
-        docs, size = [], 0
+        docs, size, seen = [], 0, {}
         for doc_id, text in rows(batches):
             text = text or ""
             pieces = cut(text) if cut else [text]
             words = split(pattern, pieces[0]) if len(pieces) == 1 else [w for p in pieces for w in split(pattern, p)]
+            freqs = None
+            if not keep_order:
+                words = Counter(words)
+                freqs = np.fromiter(words.values(), "<u4", len(words))
+            numbers = np.fromiter((seen.setdefault(w, len(seen)) for w in words), "<u4", len(words))
             n = len(text.encode("utf-8", "surrogatepass"))
-            docs.append((doc_id, words if keep_order else Counter(words), n, len(pieces) - 1))
+            docs.append((doc_id, numbers, freqs, n, len(pieces) - 1))
             size += n
             if size >= BLOCK_BYTES:
-                yield emit(docs)
-                docs, size = [], 0
+                yield emit(docs, seen)
+                docs, size, seen = [], 0, {}
         if docs:
-            yield emit(docs)
+            yield emit(docs, seen)
 
     return run
 
 
 SCHEMA = pa.schema(
-    [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("freqs", pa.binary()), ("parts", pa.list_(pa.binary())), ("part_sizes", pa.list_(pa.int32()))]
+    [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("freqs", pa.binary()), ("often", pa.list_(pa.int32())), ("parts", pa.list_(pa.binary())), ("part_sizes", pa.list_(pa.int32()))]
 )
 
 
@@ -163,8 +174,8 @@ def answer_parts(blocks: DataFrame, solve: Callable[[list[bytes]], tuple[np.ndar
         starts = np.cumsum(sizes) - sizes
         out_sizes, out_values = [], []
         for w in wanted:
-            out_sizes.append(pack(sizes[w].astype("<u4").tobytes()))
-            out_values.append(pack(values[spread(starts[w], sizes[w])].astype(width).tobytes()))
+            out_sizes.append(pack(planes(sizes[w].astype("<u4"))))
+            out_values.append(pack(planes(values[spread(starts[w], sizes[w])].astype(width))))
         return pa.table({"block": table.column("block"), "part": table.column("part"), "sizes": pa.array(out_sizes, pa.binary()), "tokens": pa.array(out_values, pa.binary())})
 
     return asked.groupBy("part").applyInArrow(one, "block long, part int, sizes binary, tokens binary")
@@ -182,8 +193,8 @@ def finish_blocks(blocks: DataFrame, answers: DataFrame, finish: Callable, schem
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         got = sorted(zip(right.column("part").to_pylist(), right.column("sizes").to_pylist(), right.column("tokens").to_pylist()))
-        sizes = np.frombuffer(b"".join(unpack(s) for _, s, _ in got), "<u4").astype(np.int64)
-        values = np.frombuffer(b"".join(unpack(v) for *_, v in got), width)
+        cat = lambda parts, kind: np.concatenate([from_planes(unpack(x), kind) for x in parts] or [np.empty(0, kind)])
+        sizes, values = cat([s for _, s, _ in got], "<u4").astype(np.int64), cat([v for *_, v in got], width)
         row = {c: left.column(c)[0].as_py() for c in left.column_names}
         return finish(row, sizes, values)
 
@@ -192,5 +203,7 @@ def finish_blocks(blocks: DataFrame, answers: DataFrame, finish: Callable, schem
 
 
 def word_numbers(row: dict) -> np.ndarray:
-    raw = np.frombuffer(unpack(row["ids"]), "u1")
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+    """The dictionary slots of a block's words, document by document."""
+    ids = from_planes(unpack(row["ids"]), "<u4")
+    slots = np.concatenate([np.array(row["often"], np.int64), np.zeros(OFTEN - len(row["often"]), np.int64)])
+    return np.where(ids < OFTEN, slots[np.minimum(ids, OFTEN - 1)], ids.astype(np.int64) - OFTEN)

@@ -28,61 +28,76 @@ MAGIC = b"RPR1"
 SHARD_IDS, ROUNDS, ROUND_RULES, LEAST = 2 << 20, 4, 1024, 64
 
 
-def _frequent(seq: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys a << 32 | b of the most frequent pairs, most frequent first, and every place's slot hash."""
-    slot = (seq[:-1].astype(np.uint32) * np.uint32(2654435761) ^ seq[1:].astype(np.uint32) * np.uint32(40503)) >> np.uint32(4) & np.uint32(0xFFFFF)
-    slot = np.where(inside, slot, np.uint32(1 << 20))
-    counts = np.bincount(slot, minlength=(1 << 20) + 1)
-    counts[1 << 20] = 0
-    top = np.partition(counts, -2 * ROUND_RULES)[-2 * ROUND_RULES]
-    heavy = np.flatnonzero(counts[slot] >= max(LEAST, top))
-    if not len(heavy):
-        return np.empty(0, np.int64), slot
-    keys, n = np.unique(seq[heavy].astype(np.int64) << 32 | seq[heavy + 1], return_counts=True)
-    order = np.argsort(-n, kind="stable")[:ROUND_RULES]
-    return keys[order][n[order] >= LEAST], slot
+SLOTS = 18
+
+
+def _keys_and_slots(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair of neighbours a key that tells pairs apart, and the slot that counts it."""
+    wide, half = (np.uint32, 16) if seq.dtype == np.uint16 else (np.uint64, 32)
+    key = seq[:-1].astype(wide) << wide(half) | seq[1:]
+    return key, _slots_of(key)
 
 
 def compress(seq: np.ndarray, sizes: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, symbols, symbols of each document): frequent pairs inside documents become nonterminals, round by round."""
-    seq, rules = seq.astype(np.int32), [np.empty((0, 2), np.int64)]
-    sizes = sizes.astype(np.int64)
-    made = terminals
+    """(rules, symbols, symbols of each document): frequent pairs inside documents become nonterminals, round by round.
+
+    Pairs are counted in slots first; only those of heavy slots are counted one by one. No pair crosses the
+    end of a document.
+    """
+    seq = seq.astype(np.uint16 if terminals + ROUNDS * ROUND_RULES <= 1 << 16 else np.uint32)
+    half = 8 * seq.itemsize
+    rules, sizes, made = [np.empty((0, 2), np.int64)], sizes.astype(np.int64), terminals
     for _ in range(ROUNDS):
         if len(seq) < 2 * LEAST:
             break
         ends = np.cumsum(sizes)
-        inside = np.ones(len(seq) - 1, bool)
         edge = ends[:-1] - 1
-        inside[edge[(edge >= 0) & (edge < len(inside))]] = False
-        keys, slot = _frequent(seq, inside)
-        if not len(keys):
+        edge = edge[(edge >= 0) & (edge < len(seq) - 1)]
+        key, slot = _keys_and_slots(seq)
+        slot[edge] = 1 << SLOTS
+        counts = np.bincount(slot, minlength=(1 << SLOTS) + 1)
+        counts[1 << SLOTS] = 0
+        least = max(LEAST, int(np.partition(counts, -ROUND_RULES)[-ROUND_RULES]))
+        many = key[(counts >= least)[slot]]
+        if not len(many):
             break
-        left, right = keys >> 32, keys & 0xFFFFFFFF
-        rules.append(np.stack([left, right], axis=1))
-        of_slot = np.full((1 << 20) + 1, -1, np.int32)  # a slot leads to one rule; pairs that share one are left to a later round
-        own = (left.astype(np.uint32) * np.uint32(2654435761) ^ right.astype(np.uint32) * np.uint32(40503)) >> np.uint32(4) & np.uint32(0xFFFFF)
+        many.sort()
+        first = np.flatnonzero(np.concatenate([[True], many[1:] != many[:-1]]))
+        n = np.diff(np.append(first, len(many)))
+        order = np.argsort(-n, kind="stable")[:ROUND_RULES]
+        order = order[n[order] >= LEAST]
+        if not len(order):
+            break
+        keys = many[first[order]]
+        rules.append(np.stack([keys >> keys.dtype.type(half), keys & keys.dtype.type((1 << half) - 1)], axis=1).astype(np.int64))
+        own = _slots_of(keys)
+        of_slot = np.full((1 << SLOTS) + 1, -1, np.int32)  # a slot leads to one rule; a pair that shares it waits for a later round
         of_slot[own[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
-        rule = of_slot[slot]
-        at = np.flatnonzero(rule >= 0)
-        r = rule[at]
-        hit = (seq[at] == left[r]) & (seq[at + 1] == right[r])
-        at, r = at[hit], r[hit]
+        at = np.flatnonzero((of_slot >= 0)[slot])
+        rule = of_slot[slot[at]]
+        hit = key[at] == keys[rule]
+        at, rule = at[hit], rule[hit]
         if len(at):  # of places that overlap, every other one from the left
-            first = np.concatenate([[True], at[1:] != at[:-1] + 1])
-            start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
+            start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
             take = (np.arange(len(at)) - start) % 2 == 0
-            at, r = at[take], r[take]
-            seq[at] = made + r
+            at, rule = at[take], rule[take]
+            seq[at] = made + rule
             stay = np.ones(len(seq), bool)
             stay[at + 1] = False
-            gone = np.concatenate([[0], np.cumsum(~stay)])
-            sizes = sizes - (gone[ends] - gone[ends - sizes])
             seq = seq[stay]
+            gone = np.searchsorted(at, ends)
+            sizes = sizes - np.diff(gone, prepend=0)
         made += len(keys)
     return np.concatenate(rules), seq, sizes
 
 
+def _slots_of(keys: np.ndarray) -> np.ndarray:
+    if keys.dtype == np.uint32:
+        return keys * np.uint32(2654435761) >> np.uint32(32 - SLOTS)
+    return keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)
+
+
 def dump(doc_ids: list, ids: np.ndarray, sizes: np.ndarray, terminals: int) -> bytes:
     rules, symbols, of_doc = compress(ids, sizes, terminals)
     lengths = np.ones(terminals + len(rules), np.int64)

@@ -15,7 +15,10 @@ import numpy as np
 import regex
 
 #: Chunks a worker remembers, counted in characters; later ones are encoded whenever they come up.
-REMEMBER = 6_000_000
+REMEMBER = 14_000_000
+#: Below U+0300 lower-casing goes by single characters, NFC changes nothing, and the pattern's classes agree.
+_PLAIN = regex.compile(r"[\x00-\u02ff]*").fullmatch
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = regex.compile(r"[\x1c-\x1f]")  # white space to str.split alone
 _SPACE = regex.compile(r"\s+")
 
@@ -27,8 +30,7 @@ def _drops_space(spec: dict) -> bool:
     names = {x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])}
     added = [t["content"] for t in spec.get("added_tokens", []) if _SPACE.search(t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
     rest_plain = all(s.get("type") == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space") for s in steps[1:])
-    known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    return pattern == known and first.get("behavior") == "Removed" and bool(first.get("invert")) and rest_plain and names <= {"NFC", "Replace", "Lowercase"} and not added
+    return pattern == _PIECES and spec.get("model", {}).get("end_of_word_suffix") and first.get("behavior") == "Removed" and bool(first.get("invert")) and rest_plain and names <= {"NFC", "Replace", "Lowercase"} and not added
 
 
 class Encoder:
@@ -41,12 +43,44 @@ class Encoder:
         self.by_chunk = _drops_space(spec)
         self.width = "<u2" if max(self.library.get_vocab_size(True), end + 1) <= 1 << 16 else "<u4"
         self.end = np.array([end], self.width).tobytes()
+        names = self.library.get_vocab(True)
+        suffix = spec.get("model", {}).get("end_of_word_suffix")
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        if suffix:
+            self.ends_word[[i for name, i in names.items() if name.endswith(suffix)]] = True
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.cut = regex.compile(_PIECES).findall
         self.known: dict[str, bytes] = {}
         self.room = REMEMBER
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens: many go through the library as one text and come apart where a word ends."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 2000):
+            some = pieces[at : at + 2000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.width)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
+                out += self._encode(some)
+                continue
+            raw, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without white space, by their pre-tokens where cutting them here is safe."""
+        plain = [_PLAIN(x) is not None and not any(a in x for a in self.added) for x in chunks]
+        cut = [self.cut(x.lower()) if p else None for x, p in zip(chunks, plain)]
+        pieces = list({y for c in cut if c for y in c})
+        of_piece = dict(zip(pieces, self._pieces(pieces)))
+        rest = [x for x, p in zip(chunks, plain) if not p]
+        of_rest = iter(self._encode(rest) if rest else ())
+        get = of_piece.__getitem__
+        return [next(of_rest) if c is None else get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian bytes of ``width``. A null text counts as empty."""
         if not self.by_chunk:
@@ -58,15 +92,13 @@ class Encoder:
             chunks.append(got)
             new.update(got)
         fresh = [x for x in new if x not in known]
-        extra = dict(zip(fresh, self._encode(fresh))) if fresh else {}
+        extra = dict(zip(fresh, self._chunks(fresh))) if fresh else {}
         if self.room > 0:
             known.update(extra)
             self.room -= sum(map(len, fresh))
-            out = [b"".join(map(known.__getitem__, c)) + self.end for c in chunks]
-        else:
-            both = extra.__getitem__
-            out = [b"".join([known.get(x) or both(x) for x in c]) + self.end for c in chunks]
-        return out
+            return [b"".join(map(known.__getitem__, c)) + self.end for c in chunks]
+        both = extra.__getitem__
+        return [b"".join([known.get(x) or both(x) for x in c]) + self.end for c in chunks]
 
 
 @functools.cache
@@ -74,7 +106,7 @@ def encoder(path: str, end: int) -> Encoder:
     return Encoder(path, end)
 
 
-def encoded(batches: Iterator, path: str, end: int, some: int = 2 << 20) -> Iterator[tuple[int | None, bytes]]:
+def encoded(batches: Iterator, path: str, end: int, some: int = 4 << 20) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids) of the rows of Arrow batches, a few megabytes of text at a time."""
     from .common import rows
 
