@@ -73,6 +73,15 @@ def ranges(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: A table is broadcast where its counted rows take at most this; beyond, the same join shuffles.
+BROADCAST_BYTES = 16 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, marked for broadcast if its rows, counted now, are few enough at ``row_bytes`` each."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names: other columns, whatever their names, play no part."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

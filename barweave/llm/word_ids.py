@@ -16,6 +16,8 @@ import regex
 
 #: Chunks a worker remembers, counted in characters; later ones are encoded whenever they come up.
 REMEMBER = 14_000_000
+#: Pre-tokens a worker remembers beside its chunks.
+PIECES = 400_000
 #: Below U+0300 lower-casing goes by single characters, NFC changes nothing, and the pattern's classes agree.
 _PLAIN = regex.compile(r"[\x00-\u02ff]*").fullmatch
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,6 +53,7 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.cut = regex.compile(_PIECES).findall
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.room = REMEMBER
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -70,16 +73,30 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
+    def _cut(self, chunk: str) -> list[str] | None:
+        """The pre-tokens of a chunk, None where cutting it here is not safe. Words and words with a full stop
+        or comma after them need no pattern."""
+        if not chunk.isascii() and _PLAIN(chunk) is None or "<" in chunk and any(a in chunk for a in self.added):
+            return None
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".," and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.cut(chunk)
+
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks without white space, by their pre-tokens where cutting them here is safe."""
-        plain = [_PLAIN(x) is not None and not any(a in x for a in self.added) for x in chunks]
-        cut = [self.cut(x.lower()) if p else None for x, p in zip(chunks, plain)]
-        pieces = list({y for c in cut if c for y in c})
-        of_piece = dict(zip(pieces, self._pieces(pieces)))
-        rest = [x for x, p in zip(chunks, plain) if not p]
+        """Ids of chunks without white space, by their pre-tokens, of which as many are remembered."""
+        cuts = list(map(self._cut, chunks))
+        known = self.pieces
+        if len(known) > PIECES:
+            known.clear()
+        new = [y for y in {y for c in cuts if c for y in c} if y not in known]
+        known.update(zip(new, self._pieces(new)))
+        rest = [x for x, c in zip(chunks, cuts) if c is None]
         of_rest = iter(self._encode(rest) if rest else ())
-        get = of_piece.__getitem__
-        return [next(of_rest) if c is None else get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+        get = known.__getitem__
+        return [next(of_rest) if c is None else get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cuts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian bytes of ``width``. A null text counts as empty."""
