@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ranges, texts
+from .common import if_small, materialise, ranges, texts
 from .pretokens import spread
 from .word_ids import encoded, encoder
 
@@ -226,4 +226,4 @@ def read_store(store: DataFrame) -> DataFrame:
                     begin += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids, starts, n, crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return store.select("shard", "container").join(at, "shard").select("container", "begin").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return store.select("shard", "container").join(if_small(at, 32), "shard").select("container", "begin").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
