@@ -6,7 +6,9 @@ end to end; chunks are handed to the library once and remembered per worker. Oth
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import json
 import os
 from collections.abc import Iterator
@@ -15,7 +17,7 @@ import numpy as np
 import regex
 
 #: Chunks a worker remembers, counted in characters; later ones are encoded whenever they come up.
-REMEMBER = 14_000_000
+REMEMBER = 10_000_000
 #: Pre-tokens a worker remembers beside its chunks.
 PIECES = 400_000
 #: Below U+0300 lower-casing goes by single characters, NFC changes nothing, and the pattern's classes agree.
@@ -100,6 +102,10 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian bytes of ``width``. A null text counts as empty."""
+        with _no_collection():
+            return self._texts(texts)
+
+    def _texts(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_chunk:
             return [x + self.end for x in self._encode([t or "" for t in texts])]
         known, chunks, new = self.known, [], set()
@@ -108,7 +114,7 @@ class Encoder:
             got = [x for x in _SPACE.split(t) if x] if _ODD.search(t) else t.split()
             chunks.append(got)
             new.update(got)
-        fresh = [x for x in new if x not in known]
+        fresh = list(new.difference(known))
         extra = dict(zip(fresh, self._chunks(fresh))) if fresh else {}
         if self.room > 0:
             known.update(extra)
@@ -123,6 +129,18 @@ def encoder(path: str, end: int) -> Encoder:
     return Encoder(path, end)
 
 
+@contextlib.contextmanager
+def _no_collection() -> Iterator[None]:
+    """Millions of short-lived lists, none in a cycle: the cycle collector would only walk the memories again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def encoded(batches: Iterator, path: str, end: int, some: int = 4 << 20) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids) of the rows of Arrow batches, a few megabytes of text at a time."""
     from .common import rows
