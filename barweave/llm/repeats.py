@@ -27,7 +27,7 @@ from .common import materialise, ranges
 from .pretokens import from_planes, pack, planes, spread, unpack
 
 #: Bytes of text in a block; bytes that are hashed at a time; length of the hashed grams.
-BLOCK_BYTES, SLICE, GRAM = 32 << 20, 2 << 20, 24
+BLOCK_BYTES, SLICE, GRAM = 8 << 20, 1 << 20, 24
 #: Shards that are merged under one range of marks.
 SHARDS = 4
 NO_DOC = np.int64(2**63 - 1)
@@ -57,7 +57,7 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def marks(data: np.ndarray, span: int) -> np.ndarray:
-    """For each string of ``span`` bytes the least hash of its grams, 56 bits of it."""
+    """For each string of ``span`` bytes the least hash of its grams, 56 bits of it, spread evenly again: minima are small."""
     h = gram_hashes(data, min(GRAM, span))
     width, have = span - min(GRAM, span) + 1, 1
     while 2 * have <= width:
@@ -65,7 +65,8 @@ def marks(data: np.ndarray, span: int) -> np.ndarray:
         have *= 2
     if have < width:
         h = np.minimum(h[: len(h) - (width - have)], h[width - have :])
-    return h >> np.uint64(8)
+    with np.errstate(over="ignore"):
+        return (h >> np.uint64(8)) * np.uint64(0xD1B54A32D192ED03) & np.uint64((1 << 56) - 1)
 
 
 def runs(data: np.ndarray, sizes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
