@@ -38,10 +38,18 @@ WINDOW = {
     "lag": 1, "lead": 1, "sum": 1, "mean": 1, "std": 1, "var": 1, "tsmin": 1, "tsmax": 1, "skew": 1, "kurt": 1, "quantile": 1, "esum": 1, "emean": 1, "estd": 1, "emax": 1, "emin": 1,
     "cumsum": 1, "cummax": 1, "cummin": 1, "corr": 2, "cov": 2, "tsr": 1, "rk": 1, "argmax": 1, "argmin": 1, "argmax_old": 1, "argmin_old": 1, "wdot": 1, "prod": 1, "lastnn": 1, "lastnn_before": 1, "rollup": 1, "lin": 3, "first": 1, "below": 1, "mad": 1,
 }
+def _linear_weights(x: str, n: str) -> str:
+    """Weights 1 to n, newest heaviest: a dot product for short windows, two sums for long ones (which cancel more)."""
+    k = int(float(n))
+    if k <= 64:
+        return f"wdot({x}, {[2 * (i + 1) / (k * (k + 1)) for i in range(k)]})"
+    return f"((sum(t * ({x}), {n}) - (t - {n}) * sum({x}, {n})) / ({n} * ({n} + 1) / 2))"
+
+
 #: Short forms, spelt out while parsing.
 MACROS: dict[str, Callable[..., str]] = {
     "delta": lambda x, n="1": f"(({x}) - lag({x}, {n}))",
-    "dlin": lambda x, n: f"((sum(t * ({x}), {n}) - (t - {n}) * sum({x}, {n})) / ({n} * ({n} + 1) / 2))",
+    "dlin": lambda x, n: _linear_weights(x, n),
     "linslope": lambda x, n: f"((sum(t * ({x}), {n}) - (t - ({n} - 1) / 2) * sum({x}, {n})) / ({n} * ({n} * {n} - 1) / 12))",
     "linend": lambda x, n: f"(mean({x}, {n}) + linslope({x}, {n}) * ({n} - 1) / 2)",
     "linstart": lambda x, n: f"(mean({x}, {n}) - linslope({x}, {n}) * ({n} - 1) / 2)",
@@ -55,7 +63,7 @@ MACROS: dict[str, Callable[..., str]] = {
     "smooth": lambda x, n, m="1": f"lin(1 - {m} / {n}, ({x}) * {m} / {n}, {x})",
     "tr": lambda: "(max(max(h - l, abs(h - lag(c, 1))), abs(l - lag(c, 1))))",
     "tr0": lambda: "nz(max(max(h - l, abs(h - lag(c, 1))), abs(l - lag(c, 1))), h - l)",
-    "wma": lambda x, n: f"dlin({x}, {n})",
+    "wma": lambda x, n: _linear_weights(x, n),
     "slope": lambda y, x, n: f"(cov({y}, {x}, {n}) / var({x}, {n}))",
     "gate": lambda n, x: f"(({x}) if t >= {n} else null)",
     "up": lambda x: f"max(({x}) - lag({x}, 1), 0)",
@@ -584,7 +592,16 @@ def _linear(a: np.ndarray, b: np.ndarray, seed: np.ndarray) -> np.ndarray:
 # --- SQL ----------------------------------------------------------------------------------------------------
 
 
-def to_sql(formulas: dict[str, str], bars_sql: str, digits: int | None = 6, keep: tuple[str, ...] = ("symbol", "ts", "t")) -> str:
+def rounded_sql(x: str) -> str:
+    """A double cut to about ten significant places: sums differ in their last bits by the order of adding.
+
+    The cut is off the half on purpose, where prices of two decimals, halved and averaged, come to lie. Beyond 1e12 the logarithm of the size stands for it.
+    """
+    cut = lambda scale: f"CAST(floor(({x}) * {scale} + 0.3137) AS DOUBLE) / {scale}"
+    return f"CASE WHEN abs({x}) >= 1e300 THEN 300.0 WHEN abs({x}) >= 1e12 THEN floor(log10(abs({x})) * 1e6 + 0.3137) / 1e6 WHEN abs({x}) >= 1e6 THEN {cut('1e0')} WHEN abs({x}) >= 1 THEN {cut('1e4')} ELSE {cut('1e9')} END + 0.0"
+
+
+def to_sql(formulas: dict[str, str], bars_sql: str, rounding: bool = True, keep: tuple[str, ...] = ("symbol", "ts", "t")) -> str:
     """One statement that gives what :func:`with_series` gives, over bars made by ``bars_sql``."""
     nodes = {name: parse(text) for name, text in formulas.items()}
     names: dict[Node, str] = {}
@@ -620,8 +637,6 @@ def to_sql(formulas: dict[str, str], bars_sql: str, digits: int | None = 6, keep
             ctes.append(f"j{level} AS (SELECT b.*{got} FROM {last} b JOIN r{level} r ON b.symbol = r.symbol AND b.t = r.t)")
             last = f"j{level}"
             names |= {n: f"f{level}_{i}" for i, n in enumerate(folds)}
-    out = [f"CAST({dialect.scalar(n, names)} AS DOUBLE)" for n in nodes.values()]
-    if digits is not None:
-        out = [f"round({x}, {digits}) + 0.0" for x in out]
-    columns = ", ".join([*keep, *(f"{x} AS {name}" for x, name in zip(out, nodes))])
-    return f"WITH RECURSIVE {', '.join(ctes)} SELECT {columns} FROM {last}"
+    plain = ", ".join([*keep, *(f"CAST({dialect.scalar(n, names)} AS DOUBLE) AS {name}" for name, n in nodes.items())])
+    shown = ", ".join([*keep, *(f"{rounded_sql(name) if rounding else name} AS {name}" for name in nodes)])
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT {shown} FROM (SELECT {plain} FROM {last})"

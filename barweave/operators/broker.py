@@ -315,7 +315,7 @@ def fixed(stake: float = 1.0) -> Sizer:
 
 
 def percent(share: float = 0.2) -> Sizer:
-    return lambda broker, price, buy: math.floor(broker.value(price) * share / price) if price > 0 else 0.0
+    return lambda broker, price, buy: float(math.floor(broker.value(price) * share / price)) if price > 0 else 0.0
 
 
 def all_in() -> Sizer:

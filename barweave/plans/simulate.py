@@ -165,5 +165,6 @@ p AS (SELECT *, last_value(nullif(d, 0) IGNORE NULLS) OVER (PARTITION BY symbol
 x AS (SELECT *, lead(next_open) OVER (PARTITION BY symbol ORDER BY t) AS leave FROM p WHERE (q < 0 AND d > 0 OR q > 0 AND d < 0) AND next_open IS NOT NULL),
 c AS (SELECT symbol, t, leave - next_open AS pnl, sum(leave - next_open) OVER (PARTITION BY symbol ORDER BY t) AS total FROM x WHERE q < 0 AND d > 0 AND leave IS NOT NULL),
 k AS (SELECT *, greatest(max(total) OVER (PARTITION BY symbol ORDER BY t), 0) AS peak FROM c)
-SELECT symbol, count(*) AS trades, count(*) FILTER (pnl >= 0) AS won, round(sum(pnl), 6) AS gross, round(max(pnl), 6) AS best, round(min(pnl), 6) AS worst, round(max(peak - total), 6) AS max_drawdown FROM k GROUP BY symbol
+SELECT symbol, trades, won, {gross} AS gross, {best} AS best, {worst} AS worst, {max_drawdown} AS max_drawdown
+FROM (SELECT symbol, count(*) AS trades, count(*) FILTER (pnl >= 0) AS won, sum(pnl) AS gross, max(pnl) AS best, min(pnl) AS worst, max(peak - total) AS max_drawdown FROM k GROUP BY symbol)
 """

@@ -41,7 +41,7 @@ def event_bars(spark: SparkSession, sf_dir: str, bucket: str = "hour") -> DataFr
 def shipment_bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
     """``lineitem`` as daily bars: price is the extended price, volume the quantity."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return bars_of(li, F.col(symbol).cast("string"), F.col("l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity"), F.date_trunc("day", "l_shipdate"), ["l_orderkey", "l_linenumber"])
+    return bars_of(li, F.col(symbol).cast("string"), F.col("l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity"), F.date_trunc("day", "l_shipdate"), ["l_orderkey", "l_linenumber", "l_extendedprice"])
 
 
 def numbered(bars: DataFrame) -> DataFrame:
@@ -52,8 +52,8 @@ def numbered(bars: DataFrame) -> DataFrame:
 #: The same bars in SQL, for the oracle.
 EVENT_BARS_SQL = """SELECT event_type AS symbol, date_trunc('{bucket}', ts)::TIMESTAMP AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
  last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume, 0.0::DOUBLE AS openinterest FROM events GROUP BY ALL"""
-SHIPMENT_BARS_SQL = """SELECT {symbol}::VARCHAR AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, first(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber)::DOUBLE AS open, max(l_extendedprice)::DOUBLE AS high,
- min(l_extendedprice)::DOUBLE AS low, last(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber)::DOUBLE AS close, sum(l_quantity)::DOUBLE AS volume, 0.0::DOUBLE AS openinterest FROM lineitem GROUP BY 1, 2"""
+SHIPMENT_BARS_SQL = """SELECT {symbol}::VARCHAR AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, first(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice)::DOUBLE AS open, max(l_extendedprice)::DOUBLE AS high,
+ min(l_extendedprice)::DOUBLE AS low, last(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice)::DOUBLE AS close, sum(l_quantity)::DOUBLE AS volume, 0.0::DOUBLE AS openinterest FROM lineitem GROUP BY 1, 2"""
 
 
 def numbered_sql(bars_sql: str) -> str:
