@@ -162,8 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Machine
     labels_of = rows.column("quality").to_numpy()[order].astype(float) if rows.num_rows else np.empty(0)
     ones = (labels_of.sum() + 1) / (len(labels_of) + 2)
     if not 0 < labels_of.sum() < len(labels_of):
-        return Machine(np.zeros((STATISTICS, CUTS)), float(np.log(ones / (1 - ones))), seed=0)
-    flat, offsets = rows.column("words").combine_chunks(), None
+        flat = Machine(np.zeros((STATISTICS, CUTS)), float(np.log(ones / (1 - ones))))
+        flat.v[:] = 0.0
+        return flat
+    flat = rows.column("words").combine_chunks()
     offsets = flat.offsets.to_numpy()
     flat = flat.values.to_numpy().astype(np.int64)
     words = [flat[offsets[i] : offsets[i + 1]] for i in order]
