@@ -201,6 +201,9 @@ def _register_all() -> None:
         if ma != "SMA":
             r(f"{ma}Envelope", f, "", env(text), period=30, perc=2.5)
     r("KAMAEnvelope", f, "AdaptiveMovingAverageEnvelope MovingAverageAdaptiveEnvelope", env(kama), period=30, fast=2, slow=30, perc=2.5)
+    band = {"mid": "", "top": "", "bot": ""}
+    r("DMAEnvelope", f, "DicksonMAEnvelope DicksonMovingAverageEnvelope", band, kernel="dma_envelope", period=20, gainlimit=50, hperiod=7, perc=2.5)
+    r("ZLIndicatorEnvelope", f, "ZeroLagIndicatorEnvelope", band, kernel="zero_lag_envelope", period=20, gainlimit=50, perc=2.5)
     mid = lambda n: f"((tsmax(h, {{{n}}}) + tsmin(l, {{{n}}})) / 2)"
     r("Ichimoku", f, "", {"tenkan_sen": mid("tenkan"), "kijun_sen": mid("kijun"), "senkou_span_a": f"lag(({mid('tenkan')} + {mid('kijun')}) / 2, {{senkou_lead}})", "senkou_span_b": f"lag({mid('senkou')}, {{senkou_lead}})", "chikou_span": "lead(c, {chikou})"}, tenkan=9, kijun=26, senkou=52, senkou_lead=26, chikou=26)
     r("Squeeze", f, "TTMSqueeze", {"momentum": "linend(c - (h + l) / 4, {period}) - mean(c, {period}) / 2", "squeeze_on": "num({bb_mult} * std(c, {period}) < {kc_mult} * mean(tr0(), {period}))"}, period=20, bb_mult=2.0, kc_mult=1.5)
@@ -266,6 +269,7 @@ def _register_all() -> None:
     r("SSF", f, "SuperSmootherFilter", "", kernel="ssf", period=10)
     r("VWMA", f, "VolumeWeightedMA", "nz(sum({s} * v, {period}) / sum(v, {period}), gate({period}, {s}))", period=20)
     r("WeightedAverage", f, "AverageWeighted", "{coef} * wdot({s}, {weights})", weights=[float(i + 1) for i in range(10)], coef=1.0)
+    r("DicksonMovingAverage", f, "DMA DicksonMA", "", kernel="dma", period=20, gainlimit=50, hperiod=7)
     r("ZeroLagIndicator", f, "ZLIndicator ZLInd EC ErrorCorrecting", "", kernel="zero_lag", period=20, gainlimit=50)
 
     f = "volume"
@@ -416,6 +420,8 @@ def _register_all() -> None:
         if ma != "SMA":
             r(f"{ma}Oscillator", f, "", f"{{s}} - ({text})", period=30)
     r("KAMAOscillator", f, "AdaptiveMovingAverageOscillator MovingAverageAdaptiveOscillator", f"{{s}} - {kama}", period=30, fast=2, slow=30)
+    r("DMAOscillator", f, "DicksonMAOscillator DicksonMovingAverageOscillator", "", kernel="dma_oscillator", period=20, gainlimit=50, hperiod=7)
+    r("ZeroLagIndicatorOscillator", f, "ZLIndicatorOscillator ZeroLagIndicatorOsc ECOscillator", "", kernel="zero_lag_oscillator", period=20, gainlimit=50)
     r("PriceOscillator", f, "PriceOsc AbsolutePriceOscillator APO AbsPriceOsc", {"po": "ema({s}, {period1}) - ema({s}, {period2})"}, period1=12, period2=26)
     for name, alias, under in (("PercentagePriceOscillator", "PPO PercPriceOsc", "period2"), ("PercentagePriceOscillatorShort", "PPOShort PercPriceOscShort", "period1")):
         ppo = f"(100 * (ema({{s}}, {{period1}}) - ema({{s}}, {{period2}})) / ema({{s}}, {{{under}}}))"
