@@ -197,8 +197,9 @@ def test_live_stream(spark, tmp_path):
     rows = [("A", (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=i)).to_pydatetime(), float(p)) for i, p in enumerate([*range(30, 5, -1), *range(5, 40)])]
     spark.createDataFrame(rows, "symbol string, ts timestamp, price double").write.parquet(str(tmp_path / "in"))
     ticks = spark.readStream.schema("symbol string, ts timestamp, price double").parquet(str(tmp_path / "in"))
-    q = live.live(ticks, Limits(max_drawdown=99)).writeStream.format("memory").queryName("fills").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = live.live(ticks, Limits(max_drawdown=99)).writeStream.format("memory").queryName("fills").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(15)
+    q.stop()
     assert spark.sql("select * from fills where size > 0").count() >= 1
 
 
