@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series
 from ..functions.intervals import Interval, interval
-from ..operators import analytics, gate, indicators, patterns, resample, stats
+from ..operators import analytics, gate, indicators, patterns, resample, signals, stats
 from ..operators.broker import Commission, Slippage
 from ..sources import bars as source
 from ..streaming import live
@@ -237,11 +237,22 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{path}/out").select("symbol", "ts", "high", "low", "volume", "ticks"))
 
 
+def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(signals.regimes(_shipments(spark, sf_dir), high=0.5).select("symbol", "t", "regime"))
+
+
+ENTRIES = {"above": ENTRY, "narrow": "num(h - l < mean(h - l, 20) * 0.5)", "heavy": "num(v > 2 * mean(v, 20))"}
+
+
+def signal_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(signals.evaluate(_shipments(spark, sf_dir), ENTRIES, 100, 900))
+
+
 NAMED: dict[str, Query] = {
     f.__name__: f
     for f in (
         sma_cross, bars_events, bars_shipments, bars_quality, resample_4h, resample_week, resample_month_start, resample_days, replay_week, align_clocks, convert_currency,
-        kernel_indicators, backtest_trades, backtest_brackets, sweep, trade_statistics, extended_metrics, drawdowns, returns, sharpe, gate_candidates, gate_ledger, cross_section, stream_bars,
+        kernel_indicators, backtest_trades, backtest_brackets, sweep, trade_statistics, extended_metrics, drawdowns, returns, sharpe, gate_candidates, gate_ledger, cross_section, stream_bars, regimes, signal_entries,
     )
 } | {
     "test_adf": _test("adf", "c"), "test_hurst_rs": _test("hurst_rs", "ret"), "test_garch": _test("garch", "ret"), "test_hmm2": _test("hmm2", "ret"),
@@ -292,6 +303,8 @@ SQL = {
     "gate_candidates": "SELECT * EXCLUDE (entry), CASE WHEN outcome IS NOT NULL THEN (outcome > 0)::BIGINT END AS label FROM ({}) WHERE entry = 1".format(
         series.to_sql(gate.FEATURES | {"entry": ENTRY, "outcome": "lead(c, 5) / lead(o, 1) - 1"}, _SHIP_SQL, keep=KEEP)
     ),
+    "regimes": signals.REGIME_SQL.format(high=0.5, inner=series.to_sql(signals.REGIMES, _SHIP_SQL, rounding=False, keep=KEEP)),
+    "signal_entries": " UNION ALL ".join(f"SELECT symbol, t, '{n}' AS entry FROM ({series.to_sql({n: f}, _SHIP_SQL, rounding=False, keep=KEEP)}) WHERE {n} = 1 AND t BETWEEN 100 AND 900" for n, f in ENTRIES.items()),
     "stream_bars": f"SELECT event_type AS symbol, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS ts, {_r('max(value)')} AS high, {_r('min(value)')} AS low, count(*)::DOUBLE AS volume, count(*) AS ticks FROM events GROUP BY ALL",
 }
 

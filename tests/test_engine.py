@@ -213,3 +213,33 @@ def test_quality(spark):
 def test_days_bucket(spark):
     bars = price_bars(spark, range(1, 11))
     assert resample.resample(bars, Interval("days", 3)).count() == 4
+
+
+def test_configured_run(spark, tmp_path):
+    import json
+
+    from barweave.plans import config
+
+    closes = [10, 10, 10, 11, 12, 13, 14, 13, 12, 11, 10, 9, 9, 10, 11, 12, 13]
+    price_bars(spark, closes).drop("t").write.parquet(str(tmp_path / "bars"))
+    text = json.dumps({"path": str(tmp_path / "bars"), "interval": "1d", "from": "2024-01-01", "cash": 1000, "sizer": "fixed", "sizer_args": [1], "rules": {"long": "num(c > mean(c, 3))", "exit": "num(c < mean(c, 3))"}})
+    row = config.run(spark, text).first()
+    result = json.loads(row.result)
+    assert len(result["equity"]) == len(closes) and result["trades"][0]["t"] == 9 and result["metrics"]["trades"] == 1
+    for bad in ("nope", '{"path": "x"}'):
+        with pytest.raises(config.ConfigError):
+            config.parse(bad)
+    with pytest.raises(InvalidInterval):
+        config.parse('{"path": "x", "rules": {}, "interval": "1D"}')
+
+
+def test_regimes_and_sessions(spark):
+    from barweave.operators import signals
+
+    bars = price_bars(spark, [10 + i % 3 for i in range(60)])
+    names = {r.regime for r in signals.regimes(bars, high=9).collect()}
+    assert names <= {None, "Trending", "RangeBound"} and None in names
+    days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-01-05')) as day")
+    rows = spark.sql("select timestamp'2024-01-02 10:00:00' as ts union all select timestamp'2024-01-02 17:00:00'")
+    got = {str(r.ts): r.is_open for r in signals.with_session(rows, signals.sessions(days)).collect()}
+    assert got == {"2024-01-02 10:00:00": True, "2024-01-02 17:00:00": False}
