@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -227,7 +228,10 @@ def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of the event stream, all that is there, read as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "/tmp/barweave-stream"
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or f"{tempfile.gettempdir()}/barweave-stream"
     path = f"{root}/stream-{uuid.uuid4().hex}"
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     ticks = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))

@@ -21,11 +21,15 @@ def stream_bars(ticks: DataFrame, every: str = "1 minute", late: str = "10 minut
 
 
 def increments(result: DataFrame, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None):
-    """Writes each micro-batch of ``result`` as JSON rows of one increment: number, rows and their summary."""
+    """Writes each micro-batch of ``result`` as one increment: its rows as JSON under rows, its number and size under increments.
+
+    Rows stay where they are; a batch that is run again after a failure replaces its own files only.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        out = batch.select(F.lit(number).alias("seq"), F.struct(*batch.columns).alias("row")).groupBy("seq").agg(F.count("*").alias("n"), F.collect_list("row").alias("rows"))
-        out.write.mode("append").json(path)
+        rows = batch.select(F.lit(number).alias("seq"), *batch.columns)
+        rows.write.mode("overwrite").json(f"{path}/rows/batch={number}")
+        rows.agg(F.lit(number).alias("seq"), F.count("*").alias("n")).write.mode("overwrite").json(f"{path}/increments/batch={number}")
         if sink:
             sink(batch, number)
 

@@ -243,3 +243,13 @@ def test_regimes_and_sessions(spark):
     rows = spark.sql("select timestamp'2024-01-02 10:00:00' as ts union all select timestamp'2024-01-02 17:00:00'")
     got = {str(r.ts): r.is_open for r in signals.with_session(rows, signals.sessions(days)).collect()}
     assert got == {"2024-01-02 10:00:00": True, "2024-01-02 17:00:00": False}
+
+
+def test_increments(spark, tmp_path):
+    from barweave.streaming import live
+
+    spark.range(7).write.parquet(str(tmp_path / "in"))
+    q = live.increments(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert spark.read.json(str(tmp_path / "out/rows/*")).count() == 7
+    assert spark.read.json(str(tmp_path / "out/increments/*")).selectExpr("sum(n)").first()[0] == 7
