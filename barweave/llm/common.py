@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MADE: dict[str, SparkSession] = {}
+#: Rows of a small table that one task writes.
+ROWS_A_TASK = 100_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,11 +41,14 @@ def _clean() -> None:
             _delete(path, spark)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, never the work before it.
+    This cuts the lineage: a lost executor costs a re-read, never the work before it. Where about how many rows
+    there are is known, no more tasks write them than ROWS_A_TASK asks for.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/barweave/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -87,6 +92,21 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers live on, and their next task may be of another kind."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc: nothing to trim
+        pass
+
+
 def rows(batches: Iterator) -> Iterator[tuple]:
     """(doc_id, text) pairs of Arrow batches; a null text stays None."""
     for batch in batches:

@@ -27,10 +27,10 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "large-star")
+        large = materialise(large, "large-star", mark[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        after = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star", mark[0])
         release(large)
         release(now)
         now, before = after, mark

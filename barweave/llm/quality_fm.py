@@ -56,7 +56,7 @@ _BUCKET: dict[str, int] = {}
 def word_features(words: list[str]) -> np.ndarray:
     """Buckets of the distinct words, lower-cased."""
     known = _BUCKET
-    if len(known) > 400_000:
+    if len(known) > 150_000:
         known.clear()
     out = set()
     for w in set(words):

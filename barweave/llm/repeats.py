@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ranges
+from .common import give_back, materialise, ranges
 from .pretokens import from_planes, pack, planes, spread, unpack
 
 #: Bytes of text in a block; bytes that are hashed at a time; length of the hashed grams.
@@ -292,6 +292,8 @@ def _pieces(blocks: DataFrame, shared: DataFrame, span: int, n: int) -> DataFram
                 body = b"".join(pieces[i] for i in order[a:b].tolist())
                 parts.append(p)
                 payloads.append(pack(head(b - a) + u4(lengths[a:b]) + planes(least[a:b].astype("<i8")) + body))
+        del data, raw, seen, pieces, start, count, mark, known, inverse
+        give_back()
         return pa.table({"block": pa.array([row["block"]] * len(parts), pa.int64()), "part": pa.array(parts, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
     return materialise(blocks.drop("rest").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(one, PIECES), "repeat-pieces")
@@ -319,7 +321,10 @@ def _verdicts(pieces: DataFrame, span: int) -> DataFrame:
         begin = np.cumsum(count + span - 1) - (count + span - 1)
         strings = np.cumsum(count) - count
         found = least_docs(text, spread(begin, count), np.repeat(least, count), span)
+        del text
         bits = [np.packbits(found[spread(strings[s], c)] < np.repeat(d, c)).tobytes() for s, c, d in zip(sent, lengths, docs)]
+        del seen, sent, found
+        give_back()
         return pa.table({"block": table.column("block"), "part": table.column("part"), "payload": pa.array(bits, pa.binary())})
 
     return pieces.where("part >= 0").groupBy("part").applyInArrow(one, PIECES)

@@ -17,13 +17,13 @@ import numpy as np
 import regex
 
 #: Chunks a worker remembers, counted in characters; later ones are encoded whenever they come up.
-REMEMBER = 10_000_000
+REMEMBER = 6_000_000
 #: Pre-tokens a worker remembers beside its chunks.
-PIECES = 400_000
+PIECES = 250_000
 #: Below U+0300 lower-casing goes by single characters, NFC changes nothing, and the pattern's classes agree.
 _PLAIN = regex.compile(r"[\x00-\u02ff]*").fullmatch
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ODD = regex.compile(r"[\x1c-\x1f]")  # white space to str.split alone
+_ODD = "\x1c\x1d\x1e\x1f"  # white space to str.split alone
 _SPACE = regex.compile(r"\s+")
 
 
@@ -111,17 +111,19 @@ class Encoder:
         known, chunks, new = self.known, [], set()
         for t in texts:
             t = t or ""
-            got = [x for x in _SPACE.split(t) if x] if _ODD.search(t) else t.split()
+            got = [x for x in _SPACE.split(t) if x] if any(c in t for c in _ODD) else t.split()
             chunks.append(got)
             new.update(got)
         fresh = list(new.difference(known))
         extra = dict(zip(fresh, self._chunks(fresh))) if fresh else {}
+        known.update(extra)
+        out = [b"".join(map(known.__getitem__, c)) + self.end for c in chunks]
         if self.room > 0:
-            known.update(extra)
             self.room -= sum(map(len, fresh))
-            return [b"".join(map(known.__getitem__, c)) + self.end for c in chunks]
-        both = extra.__getitem__
-        return [b"".join([known.get(x) or both(x) for x in c]) + self.end for c in chunks]
+        else:  # there is room for no more
+            for x in fresh:
+                del known[x]
+        return out
 
 
 @functools.cache
