@@ -553,3 +553,14 @@ def test_pipeline(spark, docs, tmp_path):
         now = spark.read.parquet(str(tmp_path / str(k)))
     assert now.count() > 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stripping_keeps_the_distance(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(150):
+        x = [rng.choice(["a", "bb", "ccc", "bc"]) for _ in range(rng.randint(1, 8))]
+        y = [w for w in x if rng.random() < 0.85] + ([rng.choice(["a", "d"])] if rng.random() < 0.3 else [])
+        rows.append((" ".join(x), " ".join(y) or "z"))
+    df = spark.createDataFrame(rows, "x string, y string").withColumn("want", F.expr("levenshtein(x, y)"))
+    assert line_dedup._stripped(df).where("levenshtein(x, y) <> want").count() == 0
