@@ -24,6 +24,8 @@ from .pretokens import spread
 from .word_ids import encoded, encoder
 
 MAGIC = b"RPR1"
+#: Characters of chunks that a worker remembers here: no other large memory stands beside it.
+REMEMBER = 10_000_000
 #: Ids in one shard; rounds of replacement; rules a round may add; a rule must stand for this many places.
 SHARD_IDS, ROUNDS, ROUND_RULES, LEAST = 2 << 20, 4, 1024, 64
 
@@ -187,8 +189,8 @@ def write_store(docs: DataFrame, path: str, end: int, name: str = "token-store")
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "part", "first_doc", "n_docs", "n_tokens", "container"])
 
-        for doc_id, data in encoded(batches, path, end):
-            tool = tool or encoder(path, end)
+        for doc_id, data in encoded(batches, path, end, REMEMBER):
+            tool = tool or encoder(path, end, REMEMBER)
             doc_ids.append(doc_id)
             chunks.append(data)
             total += len(data) // (2 if tool.width == "<u2" else 4)

@@ -38,7 +38,7 @@ def _drops_space(spec: dict) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, end: int, remember: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,7 +56,7 @@ class Encoder:
         self.cut = regex.compile(_PIECES).findall
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.room = REMEMBER
+        self.room = REMEMBER if remember is None else remember
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -127,8 +127,8 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str, end: int) -> Encoder:
-    return Encoder(path, end)
+def encoder(path: str, end: int, remember: int | None = None) -> Encoder:
+    return Encoder(path, end, remember)
 
 
 @contextlib.contextmanager
@@ -143,7 +143,7 @@ def _no_collection() -> Iterator[None]:
             gc.enable()
 
 
-def encoded(batches: Iterator, path: str, end: int, some: int = 4 << 20) -> Iterator[tuple[int | None, bytes]]:
+def encoded(batches: Iterator, path: str, end: int, remember: int | None = None, some: int = 4 << 20) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids) of the rows of Arrow batches, a few megabytes of text at a time."""
     from .common import rows
 
@@ -153,7 +153,7 @@ def encoded(batches: Iterator, path: str, end: int, some: int = 4 << 20) -> Iter
         texts.append(text)
         size += len(text or "")
         if size >= some:
-            yield from zip(ids, encoder(path, end).encode(texts))
+            yield from zip(ids, encoder(path, end, remember).encode(texts))
             ids, texts, size = [], [], 0
     if ids:
-        yield from zip(ids, encoder(path, end).encode(texts))
+        yield from zip(ids, encoder(path, end, remember).encode(texts))
