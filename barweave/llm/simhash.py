@@ -29,17 +29,22 @@ GROUP = 4096
 PARTS = (6, 6, 6, 6, 5, 5)
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """A bit is 1 if it is set in over half the shingles' XXH64; without words the fingerprint is 0."""
+def digests(text: str | None, shingle: int, seed: int = 42) -> list[int]:
+    """XXH64 of each run of ``shingle`` words, or of all words where there are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and \x20 \x09-\x0D alone
-    if not words:
-        return 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, seed)
+        return [digest(joined, seed)] if words else []
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
+    return [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
+    """A bit is 1 if it is set in over half the shingles' XXH64; without words the fingerprint is 0."""
+    hashes = digests(text, shingle, seed)
+    if len(hashes) <= 1:
+        return hashes[0] if hashes else 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         some = np.array(hashes[at : at + (1 << 16)], "<u8")

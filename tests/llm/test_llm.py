@@ -377,6 +377,41 @@ def test_near_duplicates(docs, empty):
     assert bag(r.doc_id for r in kept.collect()) == bag(d for d, _, c in want if d is None or d in first)
 
 
+@pytest.mark.parametrize("hot", [256, 2])
+def test_documents_alike_by_shingles(spark, empty, monkeypatch, hot):
+    import corpus_pipeline
+    from barweave.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rng = random.Random(12)
+    notice = words(rng, 40).split()
+    rows = [(None, "null id"), (900, None), (901, ""), (902, "few words"), (903, "Few  words")]
+    for k in range(12):
+        text = words(rng, rng.randint(60, 300)).split() + notice
+        for i in range(5):
+            changed = list(text)
+            for _ in range(i * rng.randint(0, 2)):
+                changed[rng.randrange(len(changed))] = "other"
+            rows.append((k * 10 + i, " ".join(changed)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = []
+    for d, t in rows:
+        ws = (t or "").lower().split()
+        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set())
+    alike = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if alike(x, y):
+                    root[i] = root[j] = min(root[i], root[j])
+    least = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in root}
+    want = bag(d for i, (d, _) in enumerate(rows) if d is None or d == least[root[i]])
+    got = bag(r.doc_id for r in corpus_pipeline.dedup_documents(spark, df, "").collect())
+    assert got == want and len(want) < len(rows) - 20
+    assert jaccard.keep_first(empty).count() == 0
+
+
 def test_line_dedup(docs, empty):
     out = line_dedup.dedup_lines(docs, min_words=5)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
