@@ -433,6 +433,30 @@ def test_line_dedup(docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_alike_lines_meet(spark):
+    """Lines with a letter changed, a word put in or letters changed in a fifth of the words, against edit similarity."""
+    rng = random.Random(21)
+    common = [words(rng, 1) for _ in range(30)]
+    letter = lambda w: (lambda i: w[:i] + "z" + w[i + 1 :])(rng.randrange(len(w)))
+    rows, alike = [], 0
+    for n in (5, 6, 8, 9, 12, 20, 40):
+        for kind in (0, 1, 2):
+            for _ in range(10):
+                line = [rng.choice(common) if rng.random() < 0.4 else words(rng, 1) + words(rng, 1) for _ in range(n)]
+                other = list(line)
+                if kind == 1:
+                    other.insert(rng.randrange(n + 1), "of")
+                else:
+                    for i in rng.sample(range(n), max(1, n // 5) if kind else 1):
+                        other[i] = letter(other[i])
+                rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pair = df.select(F.expr("doc_id div 2").alias("k"), "doc_id", "text").groupBy("k").agg(F.min_by("text", "doc_id").alias("x"), F.max_by("text", "doc_id").alias("y"))
+    alike = pair.where("x <> y and 1 - levenshtein(x, y) / greatest(length(x), length(y)) >= 0.8").count()
+    gone = line_dedup.dedup_lines(df).agg(F.sum("n_dropped")).first()[0]
+    assert alike > 150 and 0.95 * alike <= gone <= len(rows) // 2
+
+
 def test_long_lines_are_counted_in_chunks(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(1, words(rng, 300)), (2, words(rng, 40)), (3, words(rng, 7))]
