@@ -457,6 +457,12 @@ def test_alike_lines_meet(spark):
     assert alike > 150 and 0.95 * alike <= gone <= len(rows) // 2
 
 
+def test_short_lines_are_compared_by_their_words(spark):
+    rows = [(1, "Read more\nRead  more!\n---\nTop"), (2, "read more\nread most\n---\none two three four five"), (3, "\n---\nTop\nOne, two three four five")]
+    out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: ("Read more\n---\nTop", 1), 2: ("read most\n---\none two three four five", 1), 3: ("\n---", 2)}
+
+
 def test_long_lines_are_counted_in_chunks(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(1, words(rng, 300)), (2, words(rng, 40)), (3, words(rng, 7))]
