@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MADE: dict[str, SparkSession] = {}
@@ -82,9 +82,10 @@ def ranges(spark: SparkSession) -> int:
 BROADCAST_BYTES = 16 << 20
 
 
-def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df``, marked for broadcast if its rows, counted now, are few enough at ``row_bytes`` each."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def if_small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """``df``, marked for broadcast if its rows, counted now, are few enough; ``row_bytes`` is a row's size or says it per row."""
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
