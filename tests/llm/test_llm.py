@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with every kind of odd row."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -429,8 +430,42 @@ def test_line_dedup(docs, empty):
     passages = [x for x in lines if x in set(corpus()[42][1].split("\n")[1:2])]
     assert len(passages) == 1
     assert line_dedup.dedup_lines(empty).count() == 0
-    plan = line_dedup._counted(docs.select(*line_dedup._row(docs), "text"))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c", max_size=40), st.text("ab c", max_size=40), st.integers(0, 40))
+def test_edit_distances(x, y, most):
+    got, want = line_dedup.distance(x, y, most), brute_distance(x, y)
+    assert got == want or got > most < want
+    x, y = " ".join(x.split()), " ".join(y.split())
+    assert line_dedup.alike(x, y, 0.8) == (brute_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9)
+
+
+def test_groups_of_lines_against_all_pairs(spark):
+    """Every pair of real lines of up to 200 characters that is alike ends in one group, but for 3 in 100."""
+    import os
+
+    path = os.environ.get("LINES_SF_DIR", "/root/testdata/sf0.001") + "/documents.parquet"
+    df = spark.read.parquet(path).select("doc_id", "text")
+    lines = {(r.doc_id, i): " ".join(line_dedup.normal(x).split()) for r in df.collect() for i, x in enumerate((r.text or "").split("\n"))}
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    texts = sorted({t for t in lines.values() if len(t.split()) >= 5 and len(t) <= 200}, key=len)
+    links = [(x, y) for i, x in enumerate(texts) for y in itertools.takewhile(lambda y: len(x) >= 0.8 * len(y), texts[i + 1 :]) if len(set(x) ^ set(y)) < 12 and line_dedup.alike(x, y, 0.8)]
+    left = defaultdict(int)
+    for t in kept.values():
+        for x in (t or "").split("\n"):
+            left[" ".join(line_dedup.normal(x).split())] += 1
+    both = sum(left[x] + left[y] > 1 for x, y in links)
+    assert max((left[t] for t in lines.values() if t), default=0) <= 1 and len(links) > 5 and both <= 0.03 * len(links) + 1
 
 
 def test_alike_lines_meet(spark):
@@ -465,12 +500,27 @@ def test_short_lines_are_compared_by_their_words(spark):
 
 def test_long_lines_are_counted_in_chunks(spark, monkeypatch):
     rng = random.Random(9)
-    rows = [(1, words(rng, 300)), (2, words(rng, 40)), (3, words(rng, 7))]
+    rows = [(1, words(rng, 300)), (2, words(rng, 40)), (3, words(rng, 7)), (4, "word " * 300_000 + words(rng, 9))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     df = df.select(*line_dedup._row(df), "text")
-    whole = bag(line_dedup.line_table(df).collect())
+    whole = bag(line_dedup.line_table(df, 5).collect())
     monkeypatch.setattr(line_dedup, "CHUNK", 16)
-    assert bag(line_dedup.line_table(df).collect()) == whole
+    assert bag(line_dedup.line_table(df, 5).collect()) == whole
+
+
+def test_hot_blocks_of_lines(spark, monkeypatch):
+    """A very common pair of long words, thousands of variants of a line and unlike lines that share words: blocks beyond HOT."""
+    monkeypatch.setattr(line_dedup, "HOT", 16)
+    rng = random.Random(4)
+    base = words(rng, 30).split()
+    rows = [(i, "commonword otherword " + words(rng, 12)) for i in range(300)]
+    for i in range(300, 600):
+        line = list(base)
+        line[rng.randrange(30)] = "x" + words(rng, 1)
+        rows.append((i, " ".join(line)))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_dropped for r in out if r.doc_id >= 300) == 299
+    assert sum(r.n_dropped for r in out if r.doc_id < 300) == 0
 
 
 # repeats
