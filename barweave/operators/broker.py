@@ -59,9 +59,13 @@ class Instrument:
     maintenance: float = 0.25
     fixed_margin: float | None = None
 
+    @property
+    def unit(self) -> float:
+        """What a unit of the price is worth; bonds are quoted in hundredths of their face value."""
+        return self.multiplier / 100 if self.kind == "bond" else self.multiplier
+
     def notional(self, size: float, price: float) -> float:
-        scale = self.multiplier / 100 if self.kind == "bond" else self.multiplier
-        return abs(size) * price * scale
+        return abs(size) * price * self.unit
 
     def margin(self, size: float, price: float) -> float:
         if self.fixed_margin is not None:
@@ -271,10 +275,10 @@ class Broker:
 
     def _execute(self, order: Order, price: float, t: int) -> None:
         size = order.size
-        unit = self.instrument.multiplier if self.instrument else 1.0
+        unit = self.instrument.unit if self.instrument else 1.0
         fee = self.commission(size, price, unit)
         if self.instrument:
-            if self.instrument.margin(size, price) + fee > self.cash:
+            if size > 0 and self.instrument.margin(size, price) + fee > self.cash:
                 order.status = "margin"
                 return
         elif size > 0 and size * price + fee > self.cash:
@@ -304,7 +308,7 @@ class Broker:
             trade.peak = max(trade.peak, trade.size, key=abs)
 
     def value(self, close: float) -> float:
-        return self.cash + self.position.size * close * (self.instrument.multiplier if self.instrument else 1.0)
+        return self.cash + self.position.size * close * (self.instrument.unit if self.instrument else 1.0)
 
 
 Sizer = Callable[[Broker, float, bool], float]

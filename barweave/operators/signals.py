@@ -31,9 +31,10 @@ REGIME_SQL = """SELECT symbol, t, CASE WHEN volatility IS NULL OR trend IS NULL
  WHEN range > 0 THEN 'RangeBound' ELSE 'LowVol' END AS regime FROM ({inner})"""
 
 
-def evaluate(bars: DataFrame, entries: dict[str, str], first: int, last: int) -> DataFrame:
-    """Which named entries hold at which bars of a slice, without a broker: symbol, t, entry. Windows see the bars before the slice."""
-    df = series.with_series(bars, entries).where(F.col("t").between(first, last))
+def evaluate(bars: DataFrame, entries: dict[str, str], first: int = 1, last: int | None = None) -> DataFrame:
+    """Which named entries hold at which bars (of a slice, if one is given), without a broker: symbol, t, entry. Windows see the bars before the slice."""
+    df = series.with_series(bars, entries).where(F.col("t") >= first)
+    df = df if last is None else df.where(F.col("t") <= last)
     named = F.filter(F.array(*[F.when(F.col(n) == 1, F.lit(n)) for n in entries]), lambda x: x.isNotNull())
     return df.select("symbol", "t", F.explode(named).alias("entry"))
 

@@ -141,9 +141,9 @@ def align_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def convert_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order prices at the last rate before them; rates are the mean event values of a day, by customer's hash."""
+    """Order prices at the last rate before them; rates are the mean prices of all orders of a day, by customer's hash."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"), F.expr("if(o_custkey % 2 = 0, 'EUR', 'GBP')").alias("currency"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("amount"))
-    rates = orders.where("key % 97 = 0").groupBy("currency", "ts").agg((F.avg("amount") / 100000).alias("rate"))
+    rates = orders.groupBy("currency", "ts").agg((F.avg("amount") / 100000).alias("rate"))
     return rounded(resample.convert(orders, rates).select("key", "currency", "base_amount"))
 
 
@@ -249,7 +249,7 @@ ENTRIES = {"above": ENTRY, "narrow": "num(h - l < mean(h - l, 20) * 0.5)", "heav
 
 
 def signal_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signals.evaluate(_shipments(spark, sf_dir), ENTRIES, 100, 900))
+    return rounded(signals.evaluate(_shipments(spark, sf_dir), ENTRIES))
 
 
 NAMED: dict[str, Query] = {
@@ -295,7 +295,7 @@ SQL = {
         SELECT h.symbol, strftime(h.ts, '%Y-%m-%d %H:%M:%S') AS ts, {_r("h.close")} AS close, {_r("c.open")} AS ctx_open, {_r("c.close")} AS ctx_close
         FROM h ASOF LEFT JOIN (SELECT *, start + INTERVAL 4 HOUR AS visible FROM c) c ON h.symbol = c.symbol AND h.ts + INTERVAL 1 HOUR >= c.visible""",
     "convert_currency": f"""WITH o AS (SELECT o_orderkey AS key, CASE WHEN o_custkey % 2 = 0 THEN 'EUR' ELSE 'GBP' END AS currency, o_orderdate AS ts, o_totalprice AS amount FROM orders),
-        r AS (SELECT currency, ts, avg(amount) / 100000 AS rate FROM o WHERE key % 97 = 0 GROUP BY ALL)
+        r AS (SELECT currency, ts, avg(amount) / 100000 AS rate FROM o GROUP BY ALL)
         SELECT o.key, o.currency, {_r("o.amount * coalesce(r.rate, 1.0)")} AS base_amount FROM o ASOF LEFT JOIN r ON o.currency = r.currency AND o.ts >= r.ts""",
     "drawdowns": f"""WITH e AS (SELECT symbol, t, close AS value FROM ({_SHIP_SQL})), p AS (SELECT *, greatest(max(value) OVER (PARTITION BY symbol ORDER BY t), 0.0) AS peak FROM e),
         m AS (SELECT *, peak - value AS money, CASE WHEN peak > 0 THEN 100 * (peak - value) / peak ELSE 0.0 END AS percent FROM p)
@@ -308,7 +308,7 @@ SQL = {
         series.to_sql(gate.FEATURES | {"entry": ENTRY, "outcome": "lead(c, 5) / lead(o, 1) - 1"}, _SHIP_SQL, keep=KEEP)
     ),
     "regimes": signals.REGIME_SQL.format(high=0.5, inner=series.to_sql(signals.REGIMES, _SHIP_SQL, rounding=False, keep=KEEP)),
-    "signal_entries": " UNION ALL ".join(f"SELECT symbol, t, '{n}' AS entry FROM ({series.to_sql({n: f}, _SHIP_SQL, rounding=False, keep=KEEP)}) WHERE {n} = 1 AND t BETWEEN 100 AND 900" for n, f in ENTRIES.items()),
+    "signal_entries": " UNION ALL ".join(f"SELECT symbol, t, '{n}' AS entry FROM ({series.to_sql({n: f}, _SHIP_SQL, rounding=False, keep=KEEP)}) WHERE {n} = 1" for n, f in ENTRIES.items()),
     "stream_bars": f"SELECT event_type AS symbol, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS ts, {_r('max(value)')} AS high, {_r('min(value)')} AS low, count(*)::DOUBLE AS volume, count(*) AS ticks FROM events GROUP BY ALL",
 }
 

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barweave.functions.intervals import Interval, InvalidInterval, interval
-from barweave.operators import analytics, gate, resample, stats
-from barweave.operators.broker import Broker, Commission, Instrument, Order, Position, Slippage, interactive
+from barweave.operators import analytics, gate, kernels, resample, stats
+from barweave.operators.broker import INSTRUMENTS, Broker, Commission, Instrument, Order, Position, Slippage, interactive
 from barweave.plans import simulate
 from barweave.sources import bars as source
 from barweave.streaming.live import Limits, Live
@@ -253,3 +253,29 @@ def test_increments(spark, tmp_path):
     assert q.awaitTermination(60)
     assert spark.read.json(str(tmp_path / "out/rows/*")).count() == 7
     assert spark.read.json(str(tmp_path / "out/increments/*")).selectExpr("sum(n)").first()[0] == 7
+
+
+def test_instruments_sell_without_margin_and_bonds_count_in_hundredths():
+    bond = INSTRUMENTS["bond"]
+    b = Broker(cash=2000.0, instrument=bond)
+    order = Order(1.0)
+    b._execute(order, 100.0, 1)
+    assert order.status == "completed" and b.cash == 1000.0 and b.value(101.0) == 2010.0
+    b.cash = 0.0
+    sell = Order(-1.0)
+    b._execute(sell, 102.0, 2)
+    assert sell.status == "completed" and b.cash == 1020.0 and b.trades[-1].pnl == 20.0
+    late = Order(200.0)
+    b._execute(late, 100.0, 3)
+    assert late.status == "margin"
+
+
+def test_error_band_and_trailing_level():
+    """The first rows worked out by hand: a 12-bar band's forecast of its second value, and a level that starts at 50."""
+    x = np.array([10.0, 11.0, 11.0])
+    got = kernels.hwc({"close": x}, x)
+    level = 10 + 2 / 13
+    trend = level / 13
+    assert np.allclose(got["mid"][:2], [10, level + trend]) and got["upper"][0] == got["lower"][0] == 10
+    up = kernels.qqe({"close": x}, x, period=3, factor=1.0, smooth=1)[""]
+    assert np.isnan(up[0]) and np.allclose(up[1:], [50.0, 37.5])
