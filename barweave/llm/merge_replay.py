@@ -56,14 +56,27 @@ def load(path: str) -> Ranks:
 
 
 def one_word(word: bytes, ranks: Ranks) -> list[int]:
-    """Smallest rank first, leftmost first, word by word: the definition, for words where merges interleave."""
-    parts = [ranks.ids[word[i : i + 1]] for i in range(len(word))]
-    while len(parts) > 1:
-        best, at = min((ranks.pairs.get(a << 20 | b, int(NONE)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if best == NONE:
-            break
-        parts[at : at + 2] = [best]
-    return parts
+    """Smallest rank first, leftmost first, for words where merges interleave: a heap over linked tokens, so a long word costs n log n."""
+    ids, n = [ranks.ids[word[i : i + 1]] for i in range(len(word))], len(word)
+    before, after, heap = list(range(-1, n - 1)), list(range(1, n + 1)), []
+
+    def meet(i: int, j: int) -> None:
+        if i >= 0 and j < n and (made := ranks.pairs.get(ids[i] << 20 | ids[j])) is not None:
+            heapq.heappush(heap, (made, i, ids[i], ids[j]))
+
+    for i in range(n - 1):
+        meet(i, i + 1)
+    while heap:
+        made, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != a or j >= n or ids[j] != b:
+            continue  # one of them has been merged since
+        ids[i], ids[j], after[i] = made, -1, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        meet(before[i], i)
+        meet(i, after[i])
+    return [x for x in ids if x >= 0]
 
 
 def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:

@@ -432,6 +432,27 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def plain_merges(word, ranks):
+    parts = [ranks.ids[word[i : i + 1]] for i in range(len(word))]
+    while len(parts) > 1:
+        best, at = min((ranks.pairs.get(a << 20 | b, math.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if best == math.inf:
+            break
+        parts[at : at + 2] = [best]
+    return parts
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=60) | st.text("aeinst ", max_size=80).map(str.encode))
+def test_one_word_against_its_definition(word):
+    ranks = merge_replay.load(RANKS)
+    assert list(map(int, merge_replay.one_word(word, ranks))) == list(map(int, plain_merges(word, ranks)))
+
+
+def test_a_word_of_a_million_letters():
+    assert sum(len(merge_replay.load(RANKS).ids) > 0 for _ in merge_replay.one_word(b"ab" * 500_000, merge_replay.load(RANKS))) > 1
+
+
 def brute_distance(x, y):
     row = list(range(len(y) + 1))
     for i, a in enumerate(x, 1):
