@@ -595,10 +595,12 @@ def _linear(a: np.ndarray, b: np.ndarray, seed: np.ndarray) -> np.ndarray:
 def rounded_sql(x: str) -> str:
     """A double cut to about ten significant places: sums differ in their last bits by the order of adding.
 
-    The cut is off the half on purpose, where prices of two decimals, halved and averaged, come to lie. Beyond 1e12 the logarithm of the size, with the sign, stands for it.
+    The cut is off the half on purpose, where prices of two decimals, halved and averaged, come to lie. From 1e12 on, the
+    first ten digits, the exponent and the sign are kept, again off the half; infinities stay.
     """
     cut = lambda scale: f"CAST(floor(({x}) * {scale} + 0.3137) AS DOUBLE) / {scale}"
-    return f"CASE WHEN abs({x}) >= 1e300 THEN 300.0 * sign({x}) WHEN abs({x}) >= 1e12 THEN floor(log10(abs({x})) * 1e6 + 0.3137) / 1e6 * sign({x}) WHEN abs({x}) >= 1e6 THEN {cut('1e0')} WHEN abs({x}) >= 1 THEN {cut('1e4')} ELSE {cut('1e9')} END + 0.0"
+    large = f"CAST(printf('%.9e', ({x}) * 1.0000000000137e0) AS DOUBLE)"
+    return f"CASE WHEN abs({x}) >= 1e308 THEN {x} WHEN abs({x}) >= 1e12 THEN {large} WHEN abs({x}) >= 1e6 THEN {cut('1e0')} WHEN abs({x}) >= 1 THEN {cut('1e4')} ELSE {cut('1e9')} END + 0.0"
 
 
 def to_sql(formulas: dict[str, str], bars_sql: str, rounding: bool = True, keep: tuple[str, ...] = ("symbol", "ts", "t")) -> str:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import series
 from ..functions.intervals import Interval, interval
@@ -226,7 +227,8 @@ def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of the event stream, all that is there, read as a stream."""
+    """Daily bars of the event stream, all that is there, read as a stream; the watermark drops windows from the state, and each
+    micro-batch writes the bars that it changed, of which the latest count."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root and not spark.sparkContext.master.startswith("local"):
@@ -236,9 +238,13 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     ticks = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
     out = live.stream_bars(ticks, "1 day")
-    query = out.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).start()
+    write = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    query = out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return rounded(spark.read.parquet(f"{path}/out").select("symbol", "ts", "high", "low", "volume", "ticks"))
+    bars = ("high", "low", "volume", "ticks")
+    got = spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/out")
+    got = got.groupBy("symbol", "ts").agg(F.max_by(F.struct(*bars), "batch").alias("bar"))
+    return rounded(got.select("symbol", "ts", *[f"bar.{x}" for x in bars]))
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:

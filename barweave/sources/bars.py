@@ -114,8 +114,12 @@ def read_csv(spark: SparkSession, path: str, symbol: str, fmt: CsvFormat | None
     rows = rows.withColumn("inside", inside)
     loaded = rows.where("not short and inside")
     bars = loaded.select(F.lit(symbol).alias("symbol"), "ts", "open", "high", "low", "close", "volume", "openinterest")
-    before = F.lag("ts").over(Window.orderBy("n"))
-    order = loaded.select((F.col("ts") == before).alias("dup"), (F.col("ts") < before).alias("back")).agg(F.count_if("dup").alias("duplicate_ts"), F.count_if("back").alias("out_of_order"))
+    # rows are held against the row before them within a split of the file, the first of a split against the last of the split before
+    cut = loaded.select(F.shiftright("n", 33).alias("split"), "n", "ts")
+    inner = cut.select("ts", F.lag("ts").over(Window.partitionBy("split").orderBy("n")).alias("before"))
+    ends = cut.groupBy("split").agg(F.min_by("ts", "n").alias("ts"), F.max_by("ts", "n").alias("last"))
+    seams = ends.select("ts", F.lag("last").over(Window.orderBy("split")).alias("before"))  # one row per split
+    order = inner.union(seams).agg(F.count_if(F.expr("ts = before")).alias("duplicate_ts"), F.count_if(F.expr("ts < before")).alias("out_of_order"))
     report = rows.agg(
         F.count("*").alias("rows_seen"), F.count_if(F.expr("not short and inside")).alias("rows_loaded"), F.count_if("short").alias("rows_short"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_numbers"), F.count_if("bad_date").alias("bad_dates"), F.count_if(F.expr("not short and not inside")).alias("outside_window"),
