@@ -30,6 +30,11 @@ from .pretokens import from_planes, pack, planes, spread, unpack
 BLOCK_BYTES, SLICE, GRAM = 8 << 20, 1 << 20, 24
 #: Shards that are merged under one range of marks.
 SHARDS = 4
+#: Bits of a mark. Different grams of one mark only let more through; at 5.5 billion marks (30 GB) that are 5 in 1000.
+MARK_BITS = 40
+#: A range of marks takes so many bytes of text at most on average. Its strings are compared in up to SUB steps, as many as
+#: hold STRINGS strings each.
+RANGE_BYTES, SUB, STRINGS = 32 << 20, 64, 2_000_000
 NO_DOC = np.int64(2**63 - 1)
 
 
@@ -57,7 +62,7 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def marks(data: np.ndarray, span: int) -> np.ndarray:
-    """For each string of ``span`` bytes the least hash of its grams, 56 bits of it, spread evenly again: minima are small."""
+    """For each string of ``span`` bytes the least hash of its grams, MARK_BITS bits of it, spread evenly again: minima are small."""
     h = gram_hashes(data, min(GRAM, span))
     width, have = span - min(GRAM, span) + 1, 1
     while 2 * have <= width:
@@ -66,7 +71,7 @@ def marks(data: np.ndarray, span: int) -> np.ndarray:
     if have < width:
         h = np.minimum(h[: len(h) - (width - have)], h[width - have :])
     with np.errstate(over="ignore"):
-        return (h >> np.uint64(8)) * np.uint64(0xD1B54A32D192ED03) & np.uint64((1 << 56) - 1)
+        return (h * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - MARK_BITS)
 
 
 def runs(data: np.ndarray, sizes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +177,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         ids, chunks, rest, size = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            data = zstandard.ZstdCompressor(level=4).compress(b"".join(chunks))
+            data = zstandard.ZstdCompressor(level=9).compress(b"".join(chunks))
             table = _ipc(pa.Table.from_batches(rest)) if other else b""
             columns = [[random.getrandbits(62)], [ids], [[len(c) for c in chunks]], [data], [pack(table)]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
@@ -208,7 +213,7 @@ def _text(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _range_of(mark: np.ndarray, n: int) -> np.ndarray:
-    return ((mark >> np.uint64(24)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    return ((mark >> np.uint64(MARK_BITS - 32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _shared_marks(blocks: DataFrame, span: int, n: int) -> DataFrame:
@@ -277,11 +282,12 @@ def _pieces(blocks: DataFrame, shared: DataFrame, span: int, n: int) -> DataFram
         np.minimum.at(least, which, doc)
         example = np.empty(len(seen), np.int64)
         example[which[::-1]] = np.arange(len(which))[::-1]
-        part = _range_of(mark[example], n)
-        order = np.argsort(part, kind="stable")
+        step = _range_of(mark[example], n * SUB)
+        order = np.argsort(step, kind="stable")
+        step = step[order]
         place = np.empty(len(seen), np.int64)
         place[order] = np.arange(len(seen))
-        pieces, lengths, least, part = list(seen), count[example][order], least[order], part[order]
+        pieces, lengths, least, part = list(seen), count[example][order], least[order], step // SUB
         u4 = lambda x: planes(np.asarray(x).astype("<u4"))
         head = lambda *k: np.array(k, "<u4").tobytes()
         state = head(len(start), len(seen)) + u4(np.diff(start, prepend=0)) + u4(count) + u4(place[which]) + u4(lengths) + u4(part) + planes(least.astype("<i8"))
@@ -291,7 +297,7 @@ def _pieces(blocks: DataFrame, shared: DataFrame, span: int, n: int) -> DataFram
             if a < b:
                 body = b"".join(pieces[i] for i in order[a:b].tolist())
                 parts.append(p)
-                payloads.append(pack(head(b - a) + u4(lengths[a:b]) + planes(least[a:b].astype("<i8")) + body))
+                payloads.append(pack(head(b - a) + u4(lengths[a:b]) + planes(least[a:b].astype("<i8")) + (step[a:b] % SUB).astype("u1").tobytes() + body))
         del data, raw, seen, pieces, start, count, mark, known, inverse
         give_back()
         return pa.table({"block": pa.array([row["block"]] * len(parts), pa.int64()), "part": pa.array(parts, pa.int32()), "payload": pa.array(payloads, pa.binary())})
@@ -302,30 +308,55 @@ def _pieces(blocks: DataFrame, shared: DataFrame, span: int, n: int) -> DataFram
 def _verdicts(pieces: DataFrame, span: int) -> DataFrame:
     """(block, part, payload): for each string of the pieces sent, whether it stands in a smaller document than the block knew."""
 
-    def one(table: pa.Table) -> pa.Table:
+    def compared(got: list[tuple]) -> list[np.ndarray]:
+        """Of (lengths, documents, bytes) of each payload: whether a string stands in a smaller document."""
         seen: dict[bytes, int] = {}
-        sent, lengths, docs = [], [], []
-        for payload in table.column("payload").to_pylist():
-            raw = unpack(payload)
-            k = int(np.frombuffer(raw, "<u4", 1)[0])
-            count, least = from_planes(raw[4 : 4 + 4 * k], "<u4").astype(np.int64), from_planes(raw[4 + 4 * k : 4 + 12 * k], "<i8")
-            ends = (4 + 12 * k + np.cumsum(count + span - 1)).tolist()
-            numbers = np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip([4 + 12 * k, *ends], ends)), np.int64, k)
-            sent.append(numbers)
-            lengths.append(count)
-            docs.append(least)
+        sent = []
+        for count, _, raw in got:
+            ends = np.cumsum(count + span - 1).tolist()
+            sent.append(np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *ends], ends)), np.int64, len(count)))
         text = np.frombuffer(b"".join(seen), "u1")
         count = np.fromiter(map(len, seen), np.int64, len(seen)) - (span - 1)
         least = np.full(len(seen), NO_DOC, np.int64)
-        np.minimum.at(least, np.concatenate(sent), np.concatenate(docs))
+        for numbers, (_, docs, _) in zip(sent, got):
+            np.minimum.at(least, numbers, docs)
         begin = np.cumsum(count + span - 1) - (count + span - 1)
         strings = np.cumsum(count) - count
         found = least_docs(text, spread(begin, count), np.repeat(least, count), span)
-        del text
-        bits = [np.packbits(found[spread(strings[s], c)] < np.repeat(d, c)).tobytes() for s, c, d in zip(sent, lengths, docs)]
-        del seen, sent, found
-        give_back()
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "payload": pa.array(bits, pa.binary())})
+        return [found[spread(strings[s], c)] < np.repeat(d, c) for s, (c, d, _) in zip(sent, got)]
+
+    def opened(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, int]:
+        """Lengths, documents and steps of a payload's pieces, the payload and where its bytes begin."""
+        raw = unpack(payload)
+        k = int(np.frombuffer(raw, "<u4", 1)[0])
+        count, least = from_planes(raw[4 : 4 + 4 * k], "<u4").astype(np.int64), from_planes(raw[4 + 4 * k : 4 + 12 * k], "<i8")
+        return count, least, np.frombuffer(raw, "u1", k, 4 + 12 * k), raw, 4 + 13 * k
+
+    def one(table: pa.Table) -> pa.Table:
+        payloads = table.column("payload").to_pylist()
+        of_step = np.zeros(SUB, np.int64)
+        for payload in payloads:
+            count, _, step, _, _ = opened(payload)
+            np.add.at(of_step, step, count)
+        cuts = [0]
+        for s in range(1, SUB):
+            if of_step[cuts[-1] : s + 1].sum() > STRINGS:
+                cuts.append(s)
+        bits: list[list[np.ndarray]] = [[] for _ in payloads]
+        for low, high in zip(cuts, [*cuts[1:], SUB]):
+            got = []
+            for payload in payloads:
+                count, least, step, raw, at = opened(payload)
+                a, b = np.searchsorted(step, [low, high])
+                ends = np.concatenate([[0], np.cumsum(count + span - 1)])
+                got.append((count[a:b], least[a:b], raw[at + ends[a] : at + ends[b]]))
+                del raw
+            for mine, more in zip(bits, compared(got)):
+                mine.append(more)
+            del got
+            give_back()
+        payload = [np.packbits(np.concatenate(x)).tobytes() for x in bits]
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "payload": pa.array(payload, pa.binary())})
 
     return pieces.where("part >= 0").groupBy("part").applyInArrow(one, PIECES)
 
@@ -339,8 +370,9 @@ def find_repeats(docs: DataFrame, span: int = 50, as_text: bool = False) -> Data
     gives an empty one. Other columns are passed on, but for the four names added here.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in docs.columns if c not in ("doc_id", "text", "kept", "n_bytes", "n_removed", "n_spans")])
-    n = ranges(docs.sparkSession)
     blocks = _blocks(docs)
+    size = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (total, x) -> total + x)"))).first()[0] or 0
+    n = max(ranges(docs.sparkSession), -(-size // RANGE_BYTES))
     pieces = _pieces(blocks, _shared_marks(blocks, span, n), span, n)
     told = pieces.where("part < 0").unionByName(_verdicts(pieces, span))
     other = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]

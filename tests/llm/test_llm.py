@@ -610,6 +610,28 @@ def test_merge_over_several_shards(monkeypatch):
     assert got[4000] == 0 and got[4400] == 0 and got[3000] == 6 and repeats.SHARDS == 4
 
 
+def test_a_range_of_marks_is_compared_in_steps(docs, monkeypatch):
+    """No step holds more strings than asked for, though all marks lie in one range; the results stay."""
+    monkeypatch.setattr(repeats, "STRINGS", 200)
+    monkeypatch.setattr(repeats, "ranges", lambda spark: 1)
+    df = docs.select("doc_id", "text")
+    n, sizes = 1, []
+    blocks = repeats._blocks(df)
+    pieces = repeats._pieces(blocks, repeats._shared_marks(blocks, 50, n), 50, n)
+    plain = repeats.least_docs
+    monkeypatch.setattr(repeats, "least_docs", lambda text, at, docs, span: sizes.append(len(at)) or plain(text, at, docs, span))
+    task = {}
+    monkeypatch.setattr("pyspark.sql.pandas.group_ops.PandasGroupedOpsMixin.applyInArrow", lambda self, f, schema: task.update(f=f))
+    repeats._verdicts(pieces, 50)
+    table = pieces.where("part >= 0").toArrow()
+    assert task["f"](table).num_rows == table.num_rows > 0
+    assert len(sizes) > 5 and max(sizes) < sum(sizes) / 3
+    monkeypatch.undo()
+    monkeypatch.setattr(repeats, "STRINGS", 200)
+    got = repeats.find_repeats(df, 50).collect()
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == bag(brute_repeats(pairs(), 50))
+
+
 # classifier, neighbours
 
 
