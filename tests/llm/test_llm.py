@@ -413,6 +413,42 @@ def test_documents_alike_by_shingles(spark, empty, monkeypatch, hot):
     assert jaccard.keep_first(empty).count() == 0
 
 
+def test_shingles_are_sent_once(spark, docs, monkeypatch):
+    """However many shingles are frequent, their keys are written once, and only pairs that share enough of them are fetched."""
+    from barweave.llm import jaccard
+
+    written = []
+    plain = jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: written.append((name, plain(df, name))) or written[-1][1])
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    rng = random.Random(6)
+    shared = words(rng, 30)
+    rows = [(i, words(rng, 200) + " " + shared) for i in range(40)] + [(100, words(random.Random(6), 30))]
+    rows += [(50 + i, rows[i][1].replace(" ", " new ", 1)) for i in range(3)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found if r.doc_id != r.component_id} == {50: 0, 51: 1, 52: 2}
+    names = [name for name, _ in written]
+    assert len(names) == len(set(names)) and "shingle-keys" in names
+    pairs = next(df for name, df in written if name == "document-pairs")
+    assert pairs.count() < 200
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(0, 12), st.integers(0, 12))
+def test_prefixes_of_alike_sets_have_enough_in_common(seed, both, left, right):
+    from barweave.llm import jaccard
+
+    rng = np.random.default_rng(seed)
+    h = np.unique(rng.integers(0, 1 << 63, both + left + right).astype("<u8"))
+    rng.shuffle(h)
+    x, y, hot = np.sort(h[: both + left]), np.sort(np.concatenate([h[:both], h[both + left :]])), np.sort(h[::3])
+    if both >= 0.8 * len(h):
+        c = len(np.intersect1d(jaccard.prefix(x, 0.8, hot), jaccard.prefix(y, 0.8, hot)))
+        n, m = len(x), len(y)
+        beyond = max(math.ceil(0.8 * n - 1e-9), math.ceil(0.8 * m - 1e-9)) - 1
+        assert c >= 1 and c >= math.ceil(0.8 / 1.8 * (n + m) - 1e-9) - beyond
+
+
 def test_line_dedup(docs, empty):
     out = line_dedup.dedup_lines(docs, min_words=5)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
