@@ -449,6 +449,19 @@ def test_prefixes_of_alike_sets_have_enough_in_common(seed, both, left, right):
         assert c >= 1 and c >= math.ceil(0.8 / 1.8 * (n + m) - 1e-9) - beyond
 
 
+def test_fingerprints_bring_document_pairs(spark, monkeypatch):
+    """Documents within 3 bits are candidates by op4's chains, whatever the shingles' filter finds."""
+    from barweave.llm import jaccard
+
+    rows = [(10, 5, 0), (20, 5, 7), (30, 5, 15), (40, 5, 0), (50, 0, 0)]
+    got = jaccard._ringed(spark.createDataFrame(rows, "node long, size int, fp long")).collect()
+    assert {frozenset(r) for r in got} == {frozenset(p) for p in ((10, 20), (20, 30), (10, 40))}
+    monkeypatch.setattr(jaccard, "_enough", lambda *_: F.lit(False))
+    text = words(random.Random(3), 3000)
+    near = spark.createDataFrame([(1, text), (2, text.replace(" ", " new ", 1)), (3, words(random.Random(4), 3000))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(near).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_line_dedup(docs, empty):
     out = line_dedup.dedup_lines(docs, min_words=5)
     assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
