@@ -520,6 +520,18 @@ def test_edit_distances(x, y, most):
     assert line_dedup.alike(x, y, 0.8) == (brute_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9)
 
 
+def test_very_long_lines_by_edit_distance():
+    """Beyond LONG_LINE as below: one letter in every word, a word parted, the same words in another order."""
+    rng = random.Random(31)
+    line = [words(rng, 1) + words(rng, 1) for _ in range(9700)]
+    x = " ".join(line)
+    assert len(x) > line_dedup.LONG_LINE
+    assert line_dedup.alike(x, " ".join(w[:2] + "q" + w[3:] for w in line), 0.8)
+    assert line_dedup.alike(x, x.replace(line[50], line[50][:1] + " " + line[50][1:]), 0.8)
+    assert not line_dedup.alike(x, " ".join(sorted(line)), 0.8)
+    assert not line_dedup.alike(x, "z" * len(x), 0.8)
+
+
 def test_groups_of_lines_against_all_pairs(spark):
     """Every pair of real lines of up to 200 characters that is alike ends in one group, but for 3 in 100."""
     import os
