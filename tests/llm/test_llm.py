@@ -605,6 +605,26 @@ def test_hot_blocks_of_lines(spark, monkeypatch):
     assert sum(r.n_dropped for r in out if r.doc_id < 300) == 0
 
 
+def test_lines_that_cannot_be_alike_are_not_paired(spark, monkeypatch):
+    """A block of unlike lines that share a key: its lines don't become pairs by the square; a near copy among them is found."""
+    rng, sizes = random.Random(6), {}
+    real, table = line_dedup.materialise, line_dedup.line_table
+
+    def counted(df, name, rows=None):
+        out = real(df, name, rows)
+        if {c for c, _ in out.dtypes} == {"a", "b"}:
+            sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    monkeypatch.setattr(line_dedup, "line_table", lambda *a: table(*a).withColumn("keys", F.array_append("keys", F.lit(7).cast("long"))))
+    lines = [words(rng, 14) for _ in range(120)]
+    lines.append(lines[50] + "z")
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.n_dropped} == {120}
+    assert sizes and max(sizes.values()) < 2 * len(lines)
+
+
 # repeats
 
 
